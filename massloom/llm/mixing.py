@@ -4,8 +4,8 @@ Every document of a source asks for the same number of copies, target / source s
 fractional part is rounded so that the words taken stay what they were: two documents with fractional copies trade words
 until one of them has none or all of its copy, in a random direction whose odds keep each one's expectation. Groups of
 about GROUP documents run this one after another and each passes on one residual; groups of GROUP residuals meet in the
-next level of the tree, until a source has one document left, which is drawn. Within a
-group long documents go first, so that what is left over is small. A source misses its target by less than one document, and no task holds more than a group, however large the source.
+next level of the tree, until a source has one document left, which is rounded to the nearer end. A source
+misses its target by at most half of that document, and no task holds more than a group, however large the source.
 
 Defined cases: a null or empty text has size 0 and takes nothing; null sources are one source, the last; a null doc_id is
 a value like any other; repeated rows are counted and rounded one by one; a table without words has targets of 0;
@@ -23,7 +23,7 @@ from massloom.llm.common import Scratch
 
 GROUP = 48
 WORD = r"[^\x20\x09-\x0D]+"
-_UNIT = "struct<last:bigint,h:bigint,doc_id:bigint,idx:int,size:bigint,q:double>"
+_UNIT = "struct<h:bigint,doc_id:bigint,idx:int,size:bigint,q:double>"
 _PICK = "struct<doc_id:bigint,idx:int,size:bigint,pick:int>"
 
 
@@ -68,8 +68,8 @@ CASE WHEN acc.carry IS NULL THEN named_struct('carry', u, 'out', acc.out) ELSE
       ELSE CASE WHEN acc.carry.q <= u.size - u.q THEN 3 ELSE 4 END END),
     c -> named_struct(
       'carry', CASE WHEN c IN (1, 3)
-        THEN named_struct('last', u.last, 'h', u.h, 'doc_id', u.doc_id, 'idx', u.idx, 'size', u.size, 'q', CASE WHEN c = 1 THEN u.q - (acc.carry.size - acc.carry.q) ELSE u.q + acc.carry.q END)
-        ELSE named_struct('last', acc.carry.last, 'h', acc.carry.h, 'doc_id', acc.carry.doc_id, 'idx', acc.carry.idx, 'size', acc.carry.size, 'q', CASE WHEN c = 2 THEN acc.carry.q + u.q ELSE acc.carry.q - (u.size - u.q) END) END,
+        THEN named_struct('h', u.h, 'doc_id', u.doc_id, 'idx', u.idx, 'size', u.size, 'q', CASE WHEN c = 1 THEN u.q - (acc.carry.size - acc.carry.q) ELSE u.q + acc.carry.q END)
+        ELSE named_struct('h', acc.carry.h, 'doc_id', acc.carry.doc_id, 'idx', acc.carry.idx, 'size', acc.carry.size, 'q', CASE WHEN c = 2 THEN acc.carry.q + u.q ELSE acc.carry.q - (u.size - u.q) END) END,
       'out', concat(acc.out, array(CASE WHEN c IN (1, 3)
         THEN named_struct('doc_id', acc.carry.doc_id, 'idx', acc.carry.idx, 'size', acc.carry.size, 'pick', CASE WHEN c = 1 THEN 1 ELSE 0 END)
         ELSE named_struct('doc_id', u.doc_id, 'idx', u.idx, 'size', u.size, 'pick', CASE WHEN c = 4 THEN 1 ELSE 0 END) END))))[0] END
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3, 1, 2
     whole = (F.col("p") <= 0) | (F.col("size") == 0)
     h = F.xxhash64(F.lit(seed), "doc_id", "idx")
     groups = F.ceil(F.col("source_n") / GROUP)
-    unit = F.struct((-F.col("size")).alias("last"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("int").alias("idx"), "size", (F.col("p") * F.col("size")).alias("q"))
+    unit = F.struct(h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("int").alias("idx"), "size", (F.col("p") * F.col("size")).alias("q"))
     units = asked.where(~whole).select("key", "target", "source_size", "base", F.pmod(h, groups).alias("bucket"), unit.alias("unit"))
     rows = lambda df, c: df.select(F.col(f"{c}.doc_id").alias("doc_id"), "key", F.col(f"{c}.idx").alias("idx"), F.col(f"{c}.size").alias("size"), "source_size", "target", (F.col("base") + F.col(f"{c}.pick")).alias("copies"))
     found = asked.where(whole).select("doc_id", "key", "idx", "size", "source_size", "target", F.col("base").alias("copies"))
@@ -111,8 +111,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3, 1, 2
             break
         units = done.select("key", "target", "source_size", "base", F.floor(F.col("bucket") / GROUP).alias("bucket"), F.col("carry").alias("unit"))
         left, level = -(-left // GROUP), level + 1
-    drawn = (F.xxhash64(F.lit(seed), F.lit("last"), "carry.h", "carry.idx").bitwiseAND(F.lit(9007199254740991)) / F.lit(9007199254740992.0) * F.col("carry.size") < F.col("carry.q")).cast("int")
-    last = done.where("carry is not null").withColumn("o", F.struct("carry.doc_id", "carry.idx", "carry.size", drawn.alias("pick")))
+    nearest = (F.col("carry.q") * 2 >= F.col("carry.size")).cast("int")
+    last = done.where("carry is not null").withColumn("o", F.struct("carry.doc_id", "carry.idx", "carry.size", nearest.alias("pick")))
     return found.unionByName(rows(last, "o"))
 
 
