@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, mixing, packing, quality, topk
+from massloom.llm import chat, embeddings, mixing, packing, quality, topk
 from massloom.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.integer_components(F.col("embedding")).alias("v"))
     return topk.search(vectors, vectors.where("id % 20 = 0"), Scratch(spark, "topk"))
+
+
+@_query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"), Scratch(spark, "embeddings"))
