@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ class Scratch:
         df.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of tables that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
@@ -195,3 +201,45 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if table:
         names, roots = find_roots(np.concatenate([x for x, _ in table]), np.concatenate([y for _, y in table]))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(roots, pa.int64())], ["v", "label"])
+
+
+def grouped_links(pairs: DataFrame, link: Callable[[DataFrame, str], DataFrame], scratch: Scratch, most: int) -> DataFrame:
+    """Links (a, b) of all groups of `pairs` (leader, id; a written table). `link` gives the links inside each group g of rows (g, id).
+
+    Groups of more than `most` are dealt into sub-blocks. Each joins itself; one id for each component and sub-block goes on to
+    a smaller group, until one holds them all; then pairs of sub-blocks that still hold two components are joined whole.
+    """
+    sizes = scratch.save(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
+    members = pairs.join(sizes, "leader")
+    edges = link(members.where(F.col("size") <= most).select(F.xxhash64("leader").alias("g"), "id"), "links")
+    if sizes.where(F.col("size") > most).limit(1).count():
+        edges = _large(members.where(F.col("size") > most).select("leader", "id", "size"), edges, link, scratch, most)
+    return edges
+
+
+def _large(members: DataFrame, edges: DataFrame, link: Callable[[DataFrame, str], DataFrame], scratch: Scratch, most: int) -> DataFrame:
+    """edges, and the links of groups of more than `most` documents."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / most)).cast("int")
+    dealt = scratch.save(members.withColumn("part", part), "dealt")
+    now, level = dealt, 0
+    while True:
+        edges = scratch.save(edges.unionByName(link(now.select(F.xxhash64("leader", "part", F.lit(level)).alias("g"), "id"), f"large{level}")), f"edges{level}")
+        comps = components(edges, scratch, f"components{level}")
+        named = now.join(comps.select("id", "component"), "id", "left").select("leader", "part", "id", F.coalesce("component", "id").alias("component"))
+        heads = scratch.save(named.groupBy("leader", "part", "component").agg(F.min("id").alias("id")), f"heads{level}")
+        sizes = heads.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max("part").alias("last"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        more = heads.select("leader", "id").join(sizes.where("last > 0 and c0 <> c1"), "leader").withColumn("part", part)
+        level += 1
+        before = now.count()
+        now = scratch.save(more.select("leader", "id", "size", "part"), f"now{level}")
+        left = now.count()
+        if not left or left >= before:
+            break
+    # Whole sub-blocks that still hold two components between them.
+    named = scratch.save(dealt.join(comps.select("id", "component"), "id", "left").select("leader", "part", "id", F.coalesce("component", "id").alias("component")), "named")
+    blocks = named.groupBy("leader", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    other = blocks.select("leader", F.col("part").alias("j"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    cells = blocks.withColumnRenamed("part", "i").join(other, "leader").where("i < j and least(c0, d0) <> greatest(c1, d1)").select("leader", "i", "j")
+    both = cells.select("leader", F.col("i").alias("part"), "i", "j").unionByName(cells.select("leader", F.col("j").alias("part"), "i", "j"))
+    rest = link(named.select("leader", "part", "id").join(both, ["leader", "part"]).select(F.xxhash64("leader", "i", "j", F.lit("cell")).alias("g"), "id"), "cells")
+    return scratch.save(edges.unionByName(rest), "edges-all")

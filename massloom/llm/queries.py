@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, embeddings, jaccard, mixing, packing, quality, substrings, topk, warc
+from massloom.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, substrings, topk, warc
 from massloom.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.deduplicated(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"))
