@@ -69,7 +69,7 @@ def zip_members(file: pa.NativeFile) -> dict[str, tuple[int, int]]:
 
     tail = at(max(0, total - 65557), min(total, 65557))
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no ZIP end record")
