@@ -6,7 +6,8 @@ share none of those cannot link. Every document is sent to the leader (fewest sh
 member that it shares, once per leader; whichever two documents share a member meet there. In such a group a signature tree
 stands over the documents sorted by size: a node holds the OR of its documents' token bitmaps and their range of sizes. A dual
 traversal drops pairs of nodes whose sizes or largest possible overlap cannot reach the threshold, or that are connected
-already; pairs of documents that are left are verified on the sets.
+already; pairs of documents that are left are verified on the sets. A first traversal, on sizes and bitmaps alone, finds
+which documents have any possible partner in their group; only their texts are sent.
 
 Groups of more than `most` documents are dealt into sub-blocks: each joins itself, then one document per component and
 sub-block goes on to a smaller group, and last every pair of sub-blocks that still holds two components is joined whole.
@@ -29,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massloom.llm.common import Scratch, WindowHashes, WordHashes, components, find_roots, mix, signed, words_of
+from massloom.llm.common import Scratch, WindowHashes, WordHashes, components, find_roots, grouped_links, mix, signed
 
 SHINGLE, PERCENT = 5, 75
 FREQUENT, FREQUENT_SHARE, CHUNK = 1 << 16, 0.001, 2_000_000
-BITS, LEAF, FAN, MOST, TASK_ROWS = 4096, 32, 8, 4096, 1000
+LEAST_BITS, LEAF, FAN, MOST, TASK_ROWS = 256, 32, 8, 4096, 1000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -44,7 +45,7 @@ class Shingles:
         self.k, self.words, self.windows = k, WordHashes(), WindowHashes()
 
     def of(self, text: str | None) -> np.ndarray:
-        words = [w.translate(_LOWER) for w in words_of(text)] if text and not text.islower() else words_of(text)
+        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
         h = self.words.of(words)
@@ -79,7 +80,7 @@ def _frequent(k: int):
 
 
 def _prefixes(k: int, percent: int, frequent: np.ndarray):
-    """(doc_id, n, class, light, heavy): the prefix of each set, frequent members last and apart."""
+    """(doc_id, n, class, light, heavy, bits): the prefix of each set, frequent members last and apart, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
@@ -91,10 +92,10 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray):
                 often = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
                 length = n + (-percent * n // 100) + 1 if n else 0
                 light = s[~often][:length]
-                rows.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, signed(light), signed(s[often][: length - len(light)])))
+                rows.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, signed(light), signed(s[often][: length - len(light)]), np.packbits(signature(s)).tobytes() if n else None))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "class", "light", "heavy"])
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "class", "light", "heavy", "bits"])
 
     return run
 
@@ -119,27 +120,47 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], leads])), pa.array(np.concatenate([pairs[:, 1], leads]))], ["leader", "doc_id"])
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, with two to four bits per member."""
+    bits = np.zeros(max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return bits
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of a smaller width, which the low bits of the same hashes would give."""
+    return bits if bits.shape[-1] == width else bits.reshape(*bits.shape[:-1], -1, width).any(-2)
+
+
 class Tree:
-    """Documents by size; leaves of LEAF documents, nodes of FAN children."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
-        self.bits = np.zeros((len(sets), BITS), bool)
-        for i, s in enumerate(sets):
-            self.bits[i, (s & np.uint64(BITS - 1)).astype(np.int64)] = True
-        self.over = self.sizes - self.bits.sum(1)
-        self.parent = list(range(len(sets)))
+    """Documents by size; leaves of at most LEAF documents with bitmaps of one width, nodes of FAN children."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray], sets: list[np.ndarray] | None = None):
+        self.sets, self.sizes = sets, sizes
+        self.marked = np.zeros(len(sizes), bool)
+        self.parent = list(range(len(sizes)))
         self.links: list[tuple[int, int]] = []
-        nodes = [(lo, min(lo + LEAF, len(sets)), ()) for lo in range(0, len(sets), LEAF)]
-        level = [self._node(*x) for x in nodes]
+        widths = np.array([len(b) for b in bits])
+        level, lo = [], 0
+        while lo < len(bits):
+            hi = lo + 1
+            while hi < len(bits) and hi < lo + LEAF and widths[hi] == widths[lo]:
+                hi += 1
+            each = np.stack(bits[lo:hi])
+            level.append({"lo": lo, "hi": hi, "children": (), "each": each, "bits": each.any(0), "least": sizes[lo], "largest": sizes[hi - 1], "over": (sizes[lo:hi] - each.sum(1)).max()})
+            lo = hi
         while len(level) > 1:
-            level = [self._node(x[0]["lo"], x[-1]["hi"], tuple(x)) for x in (level[i : i + FAN] for i in range(0, len(level), FAN))]
+            level = [self._node(tuple(level[i : i + FAN])) for i in range(0, len(level), FAN)]
         self.root = level[0]
 
-    def _node(self, lo: int, hi: int, children: tuple) -> dict:
-        bits = np.logical_or.reduce([c["bits"] for c in children]) if children else self.bits[lo:hi].any(0)
-        return {"lo": lo, "hi": hi, "children": children, "bits": bits, "least": self.sizes[lo], "largest": self.sizes[hi - 1], "over": self.over[lo:hi].max()}
+    def _leaves_of(self, node: dict) -> list[dict]:
+        return [x for c in node["children"] for x in self._leaves_of(c)] or [node]
+
+    def _node(self, children: tuple) -> dict:
+        lo, hi = children[0]["lo"], children[-1]["hi"]
+        width = min(len(c["bits"]) for c in children)
+        over = max((self.sizes[x["lo"] : x["hi"]] - _folded(x["each"], width).sum(1)).max() for c in children for x in self._leaves_of(c))
+        return {"lo": lo, "hi": hi, "children": children, "bits": np.logical_or.reduce([_folded(c["bits"], width) for c in children]), "least": self.sizes[lo], "largest": self.sizes[hi - 1], "over": over}
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -157,16 +178,19 @@ class Tree:
         return self.find(node["one"])
 
     def join(self, percent: int) -> list[tuple[int, int]]:
-        """Links that connect what is connected."""
+        """Links that connect what is connected. Without sets, marks the documents that may have a partner."""
         stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()  # a does not come after b
             if 100 * a["largest"] < percent * b["least"]:
                 continue
             # |A & B| >= percent (|A| + |B|) / (100 + percent)
-            if a is not b and (100 + percent) * (np.count_nonzero(a["bits"] & b["bits"]) + a["over"]) < percent * (a["least"] + b["least"]):
+            if a is not b and len(a["bits"]) == len(b["bits"]) and (100 + percent) * (np.count_nonzero(a["bits"] & b["bits"]) + a["over"]) < percent * (a["least"] + b["least"]):
                 continue
-            if (one := self.one(a)) >= 0 and (a is b or one == self.one(b)):
+            if self.sets is None:
+                if self.marked[a["lo"] : a["hi"]].all() and self.marked[b["lo"] : b["hi"]].all():
+                    continue
+            elif (one := self.one(a)) >= 0 and (a is b or one == self.one(b)):
                 continue
             if not a["children"]:
                 self._leaves(a, b, percent)
@@ -184,11 +208,17 @@ class Tree:
                 self._leaves(a, y, percent)
             return
         x, y = slice(a["lo"], a["hi"]), slice(b["lo"], b["hi"])
-        most = self.bits[x].astype(np.float32) @ self.bits[y].astype(np.float32).T + np.minimum(self.over[x][:, None], self.over[y][None])
+        width = min(len(a["bits"]), len(b["bits"]))
+        p, q = _folded(a["each"], width).astype(np.float32), _folded(b["each"], width).astype(np.float32)
+        most = p @ q.T + np.minimum((self.sizes[x] - p.sum(1))[:, None], (self.sizes[y] - q.sum(1))[None])
         fits = (100 + percent) * most >= percent * (self.sizes[x][:, None] + self.sizes[y][None])
         fits &= 100 * np.minimum(self.sizes[x][:, None], self.sizes[y][None]) >= percent * np.maximum(self.sizes[x][:, None], self.sizes[y][None])
         if a is b:
             fits = np.triu(fits, 1)
+        if self.sets is None:
+            self.marked[x] |= fits.any(1)
+            self.marked[y] |= fits.any(0)
+            return
         for i, j in zip(*np.nonzero(fits), strict=True):
             i, j = int(i) + a["lo"], int(j) + b["lo"]
             p, q = self.find(i), self.find(j)
@@ -203,6 +233,26 @@ class Tree:
                     self.links.append((i, j))
 
 
+def _plausible(percent: int):
+    """(leader, id): the members of each group that may have a partner in it, by sizes and bitmaps alone."""
+
+    def run(t: pa.Table) -> pa.Table:
+        leader, doc, n = (t.column(c).to_numpy().astype(np.int64) for c in ("leader", "id", "n"))
+        order = np.lexsort((doc, n, leader))
+        leader, doc, n, bits = leader[order], doc[order], n[order], t.column("bits").take(pa.array(order)).to_pylist()
+        begins = np.flatnonzero(np.diff(leader, prepend=leader[0] - 1))
+        keep = np.zeros(len(doc), bool)
+        for lo, hi in zip(begins, np.append(begins[1:], len(doc)), strict=True):
+            if hi - lo > 1:
+                own = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in bits[lo:hi]]
+                tree = Tree(n[lo:hi], own)
+                tree.join(percent)
+                keep[lo:hi] = tree.marked
+        return pa.table({"leader": leader[keep], "id": doc[keep]})
+
+    return run
+
+
 def _linked(k: int, percent: int):
     """Links inside each group g of a task's rows (g, doc_id, text)."""
 
@@ -220,7 +270,8 @@ def _linked(k: int, percent: int):
                 own.append((len(remembered[int(doc[i])]), int(doc[i])))
             own = sorted(x for x in set(own) if x[0])
             if len(own) > 1:
-                for i, j in Tree([remembered[d] for _, d in own]).join(percent):
+                sets = [remembered[d] for _, d in own]
+                for i, j in Tree(np.array([n for n, _ in own]), [signature(x) for x in sets], sets).join(percent):
                     a.append(own[i][1])
                     b.append(own[j][1])
         if a:
@@ -238,7 +289,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, perc
     often = texts.select("text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(3, int(texts.count() * FREQUENT_SHARE))
     frequent = np.sort(np.array([r["token"] for r in often.where(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-    sets = scratch.save(texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, n int, class binary, light array<long>, heavy array<long>"), "sets")
+    sets = scratch.save(texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, n int, class binary, light array<long>, heavy array<long>, bits binary"), "sets")
     known = sets.where("doc_id is not null and n > 0")
     firsts = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class", "rep")
     copies = scratch.save(known.select("doc_id", "class").join(firsts, "class").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
@@ -251,55 +302,31 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, perc
     to = copies.select(F.col("doc_id").alias("c"), "rep")
     pairs = pairs.join(to, F.col("doc_id") == F.col("c"), "left").select("leader", F.coalesce("rep", "doc_id").alias("doc_id"))
     pairs = scratch.save(pairs.distinct(), "pairs")
-    sizes = scratch.save(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
-    members = pairs.join(sizes, "leader")
-    cell = lambda *c: F.xxhash64(*c).alias("g")
+    # Groups first meet as bitmaps; texts go only where a partner is possible. Groups beyond `most` go on whole.
+    signs = known.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = pairs.select("leader", F.col("doc_id").alias("id")).join(sizes, "leader")
+    met = sized.where(F.col("size") <= most).join(signs, "id").select("leader", "id", "n", "bits")
+    tasks = max(1, -(-pairs.count() // TASK_ROWS))
+    kept = met.withColumn("t", F.pmod(F.xxhash64("leader"), F.lit(tasks))).groupBy("t").applyInArrow(_plausible(percent), "leader long, id long")
+    pairs = scratch.save(kept.unionByName(sized.where(F.col("size") > most).select("leader", "id")), "plausible")
+    scratch.tidy()
 
     def link(rows: DataFrame, name: str) -> DataFrame:
-        """Links of rows (g, doc_id); the texts go to the groups."""
-        rows = scratch.save(rows.select("g", "doc_id"), f"{name}-rows")
+        """Links of rows (g, id); the texts go to the groups."""
+        rows = scratch.save(rows.select("g", F.col("id").alias("doc_id")), f"{name}-rows")
         tasks = max(1, -(-rows.count() // TASK_ROWS))
-        held = rows.join(texts.where("doc_id is not null"), "doc_id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+        held = texts.where("doc_id is not null").join(rows.hint("merge"), "doc_id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
         return scratch.save(held.groupBy("t").applyInArrow(_linked(k, percent), "a long, b long"), name)
 
-    edges = link(members.where(F.col("size") <= most).select(cell("leader"), "doc_id"), "links")
+    edges = grouped_links(pairs, link, scratch, most)
     same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if sizes.where(F.col("size") > most).limit(1).count():
-        edges = _large(members.where(F.col("size") > most).select("leader", "doc_id", "size"), edges, link, scratch, most)
     comps = components(edges.unionByName(same), scratch)
     scratch.drop("pairs", "links-rows")
     found = sets.select("doc_id", "n").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _large(members: DataFrame, edges: DataFrame, link, scratch: Scratch, most: int) -> DataFrame:
-    """edges, and the links of groups of more than `most` documents."""
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / most)).cast("int")
-    dealt = scratch.save(members.withColumn("part", part), "dealt")
-    now, level = dealt, 0
-    while True:
-        edges = scratch.save(edges.unionByName(link(now.select(F.xxhash64("leader", "part", F.lit(level)).alias("g"), "doc_id"), f"large{level}")), f"edges{level}")
-        comps = components(edges, scratch, f"components{level}")
-        named = now.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("leader", "part", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        heads = scratch.save(named.groupBy("leader", "part", "component").agg(F.min("doc_id").alias("doc_id")), f"heads{level}")
-        sizes = heads.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max("part").alias("last"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        more = heads.select("leader", "doc_id").join(sizes.where("last > 0 and c0 <> c1"), "leader").withColumn("part", part)
-        level += 1
-        before = now.count()
-        now = scratch.save(more.select("leader", "doc_id", "size", "part"), f"now{level}")
-        left = now.count()
-        if not left or left >= before:
-            break
-    # Whole sub-blocks that still hold two components between them.
-    named = scratch.save(dealt.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("leader", "part", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
-    blocks = named.groupBy("leader", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    other = blocks.select("leader", F.col("part").alias("j"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    cells = blocks.withColumnRenamed("part", "i").join(other, "leader").where("i < j and least(c0, d0) <> greatest(c1, d1)").select("leader", "i", "j")
-    both = cells.select("leader", F.col("i").alias("part"), "i", "j").unionByName(cells.select("leader", F.col("j").alias("part"), "i", "j"))
-    rest = link(named.select("leader", "part", "doc_id").join(both, ["leader", "part"]).select(F.xxhash64("leader", "i", "j", F.lit("cell")).alias("g"), "doc_id"), "cells")
-    return scratch.save(edges.unionByName(rest), "edges-all")
-
-
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that link, over however many steps, to a smaller doc_id."""
     comps = jaccard_components(docs, scratch, k, percent)
