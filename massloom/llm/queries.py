@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, substrings, topk, warc
+from massloom.llm import chat, embeddings, jaccard, lines, mixing, oracles, packing, quality, substrings, topk, warc
 from massloom.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": oracles.TOPK,
+    "op5_chat_format": oracles.CHAT,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op9_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op10_jaccard_join": oracles.JACCARD,
+}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
