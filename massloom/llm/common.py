@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Edges that one task may hold when it finishes the components by union-find.
 EDGES_PER_TASK = 1_000_000
-#: Words whose hash a task remembers.
-WORDS_REMEMBERED = 500_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -69,17 +67,12 @@ class Scratch:
             pass
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered up to a bound."""
+class WordHashes:
+    """64-bit hash of each word (bytes). Hashing anew is faster than looking up what a dict remembers."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_REMEMBERED:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    @staticmethod
+    def of(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:
