@@ -35,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 #: Words and pieces of words whose ids a Python worker remembers.
-WORDS_REMEMBERED, PIECES_REMEMBERED = 800_000, 300_000
+WORDS_REMEMBERED, PIECES_REMEMBERED = 300_000, 150_000
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
