@@ -85,4 +85,4 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"))
+    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"), **lines.WHOLE)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, common, embeddings, jaccard, lines, mixing, packing, quality, substrings, topk, warc
+from massloom.llm import chat, common, embeddings, jaccard, lines, mixing, packing, quality, queries, substrings, topk, warc
 from massloom.llm.common import Scratch
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "re", "so") for b in ("n", "s", "ta", "vo", "")]
@@ -342,6 +342,43 @@ def test_line_dedup(spark, most):
     assert lines.deduplicated(docs.limit(0), scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 5])
+def test_line_dedup_query_finds_similar_lines(spark, tmp_path, monkeypatch, most):
+    """Against plain edit similarity, without keys or bits: one changed word or letter, in lines of 1 to 40 words."""
+    monkeypatch.setattr(lines.kept_lines, "__defaults__", (*lines.kept_lines.__defaults__[:-2], most, lines.kept_lines.__defaults__[-1]))
+    r = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyzé"
+    word = lambda: "".join(r.choice(alphabet) for _ in range(r.randrange(2, 9)))
+    texts = []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 20, 40):
+        for _ in range(8):
+            line = [word() for _ in range(n)]
+            other, typo = list(line), list(line)
+            other[r.randrange(n)] = word()
+            at = r.randrange(n)
+            typo[at] = typo[at][:1] + r.choice(alphabet) + typo[at][2:]
+            texts += [" ".join(line), " ".join(other), " ".join(typo)]
+    texts = list(dict.fromkeys(texts))
+    documents(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    group = roots([(i, i) for i in range(len(texts))] + [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j], 0.75)])
+    rows = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in rows if x["n_removed"] == 0} == set(group.values())
+    assert len(set(group.values())) < 0.6 * len(texts)
+
+
+def test_segments_of_short_lines():
+    r = random.Random(9)
+    for _ in range(3000):
+        a = "".join(r.choice("abc ") for _ in range(r.randrange(1, 24)))
+        b = list(a)
+        for _ in range(r.randrange(7)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "a", "b", "c"])
+        b = "".join(b)[: lines.SHORT]
+        if b and lines.similar(a, b, 0.75):
+            assert set(lines._segments(a, 0.75)) & set(lines._segments(b, 0.75)), (a, b)
+
+
 def test_large_buckets_part_nothing_near():
     r = np.random.default_rng(5)
     near = np.uint64(0xABCDEF0123456789) ^ np.array([sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for _ in range(2500)], np.uint64)
