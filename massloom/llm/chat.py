@@ -86,6 +86,7 @@ LAYOUTS = {
     "prompt_response": (["system:string", "prompt:string", "response:string"], lambda: _said(("system", F.col("system")), ("user", F.coalesce(F.col("prompt"), F.lit(""))), ("assistant", F.coalesce(F.col("response"), F.lit(""))))),
     "instruction": (["instruction:string", "input:string", "output:string"], _instruction),
     "question": (["question:string", "answer:string"], lambda: F.array(_turn("user", F.col("question")), _turn("assistant", F.col("answer")))),
+    "rows": (["said[].turn:bigint", "said[].role:string", "said[].text:string"], lambda: _mapped("said", "role", "text")),
 }
 REGISTRY = {fingerprint(paths): (name, turns) for name, (paths, turns) in LAYOUTS.items()}
 
@@ -132,19 +133,19 @@ def _schema_of(paths: list[str]) -> T.StructType:
             fields.setdefault(head, []).append(rest.split(":")[0])
         else:
             fields[path.split(":")[0]] = []
-    return T.StructType([T.StructField(n, T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in inner])) if inner else T.StringType()) for n, inner in fields.items()])
+    return T.StructType([T.StructField(n, T.ArrayType(T.StructType([T.StructField(x, T.LongType() if f"{n}[].{x}:bigint" in paths else T.StringType()) for x in inner])) if inner else T.StringType()) for n, inner in fields.items()])
 
 
 def _variant_shape(kind: T.DataType) -> str:
     if isinstance(kind, T.StructType):
         return "OBJECT<" + ", ".join(f"{f.name}: {_variant_shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    return f"ARRAY<{_variant_shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "STRING"
+    return f"ARRAY<{_variant_shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "BIGINT" if isinstance(kind, T.LongType) else "STRING"
 
 
 def gather_turns(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, layout, turns) of a table with one row per turn. A conversation is one training sample and becomes one row."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.groupBy(F.col(key).alias(key)).agg(F.array_sort(F.collect_list(one)).alias("t")).select(key, F.lit("rows").alias("layout"), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    """(key, layout, turns) of a table with one row per turn. A conversation is one training sample and becomes one record, whose fingerprint selects the layout."""
+    one = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return turns_of_layout(rows.groupBy(F.col(key).alias(key)).agg(F.array_sort(F.collect_list(one)).alias("said")), key)
 
 
 # --- format and read back --------------------------------------------------------------------------------------------

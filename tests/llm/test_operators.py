@@ -232,6 +232,14 @@ def test_chat_layouts(spark):
         chat.turns_of_layout(spark.range(1))
 
 
+def test_chat_rows_go_by_fingerprint(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn int, role string, text string")
+    assert chat.gather_turns(df).first()["layout"] == "rows"
+    monkeypatch.setattr(chat, "REGISTRY", {})
+    with pytest.raises(ValueError):
+        chat.gather_turns(df)
+
+
 # --- 6 ---
 
 
