@@ -303,57 +303,108 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == slow(a, b)
 
 
-@pytest.mark.parametrize("most", [4096, 6])
+def kept_by_brute_force(rows, least=0.75):
+    """The (doc_id, text) rows' lines that stay: every pair of distinct normalised lines is compared by edit similarity alone."""
+    first, where = {}, {}
+    for doc, text in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0)):
+        for no, line in enumerate((text or "").lower().split("\n")):
+            if line := " ".join(line.split()):
+                where[doc, text, no] = line
+                first.setdefault(line, (doc, text, no))
+    known = list(first)
+    edges = [(i, i) for i in range(len(known))]
+    for i, a in enumerate(known):
+        for j in range(i):
+            longest = max(len(a), len(known[j]))
+            if min(len(a), len(known[j])) >= least * longest and longest - lines.edit_distance(a, known[j], (1 - least) * longest + 1) >= least * longest:
+                edges.append((j, i))
+    stay = {}
+    for i, g in roots(edges).items():
+        stay.setdefault(g, known[i])  # known is in order of first occurrence, and i counts on
+    stay = {first[x] for x in stay.values()}
+    return {(doc, text): None if text is None else "\n".join(x for no, x in enumerate(text.split("\n")) if (doc, text, no) not in where or (doc, text, no) in stay) for doc, text in rows}
+
+
+@pytest.mark.parametrize("most", [4096, 5])
 def test_line_dedup(spark, most):
     r = random.Random(4)
-    base = [" ".join(words(i, 30)) for i in range(40)]
+    base = [" ".join(words(i, r.randrange(3, 60))) for i in range(40)]
     texts = []
     for i in range(120):
         own = []
         for _ in range(4):
             line = r.choice(base).split()
-            if r.random() < 0.4:
+            for _ in range(r.randrange(1 + len(line) // 6)):
                 line[r.randrange(len(line))] = r.choice(WORDS)
             own.append(" ".join(line))
         texts.append("\n".join([*own, "", "Common  LINE here 7"]))
     texts += [None, "", " \n ", "single"]
     docs = documents(spark, texts).repartition(3)
     rows = {r["doc_id"]: r for r in lines.deduplicated(docs, scratch(spark), most=most).collect()}
-    # Brute force: every pair whose SimHashes share a bucket and are near, verified.
-    first, names = {}, {}
-    for i, t in enumerate(texts):
-        for no, line in enumerate(lines.normal_lines(t) if t else []):
-            if line:
-                names[i, no] = b" ".join(line)
-                first.setdefault(names[i, no], (i, no))
-    known = sorted(first)
-    sims = [int(lines.sim_hashes(common.WordHashes().of(list(set(x.split()))), np.array([0]))[0]) for x in known]
-    ends = np.linspace(0, 64, 7).astype(int)
-    edges = [(x, x) for x in range(len(known))]
-    for x in range(len(known)):
-        for y in range(x):
-            d = sims[x] ^ sims[y]
-            whole = sum(not (d >> int(a)) & ((1 << int(b - a)) - 1) for a, b in zip(ends, ends[1:]))
-            if d.bit_count() <= 10 and whole >= 2 and lines.similar(known[x].decode(), known[y].decode(), 0.75):
-                edges.append((x, y))
-    group = roots(edges)
-    best = {}
-    for x, g in group.items():
-        best[g] = min(best.get(g, (10**9, 0)), first[known[x]])
-    stay = set(best.values())
+    want = kept_by_brute_force(list(enumerate(texts)))
     for i, t in enumerate(texts):
-        want = None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in names or (i, no) in stay)
-        assert rows[i]["text"] == want, i
-        assert rows[i]["n_chars"] == (None if want is None else len(want))
+        assert rows[i]["text"] == want[i, t], i
+        assert rows[i]["n_chars"] == (None if t is None else len(want[i, t]))
     kept = lines.deduplicated_documents(docs, scratch(spark), most=most)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.where("doc_id >= 120").collect()} == {120, 121, 122, 123}
     assert lines.deduplicated(docs.limit(0), scratch(spark)).count() == 0
 
 
+def test_line_dedup_odd_rows(spark):
+    """Clashing column names, null and repeated ids, repeated rows, a very long text, digits that differ."""
+    long_ = "\n".join(" ".join(words(i, 12)) for i in range(3000))
+    rows = [(3, "one line here", 1), (3, "one line here", 1), (3, "another one of 3", 2), (None, "one line here\nnull has it", 3), (None, None, 4), (1, long_, 5), (2, "2019 1876 44\n3581 9203 17", 6)]
+    kind = "doc_id long, text string, n_removed int, N_LINES int, nos int, h int, doc int, lines int, `0` int, kind int"
+    docs = spark.createDataFrame([(d, t, *[x] * 8) for d, t, x in rows], kind)
+    found = lines.deduplicated(docs, scratch(spark))
+    assert found.columns == [*docs.columns, "n_lines_", "n_removed_"]
+    got = {(x["n_removed"], x["text"]) for x in found.collect()}
+    assert got == {(1, "one line here"), (2, "another one of 3"), (3, "null has it"), (4, None), (5, long_), (6, "2019 1876 44\n3581 9203 17")}
+    assert found.count() == 7 and lines.deduplicated_documents(docs, scratch(spark)).count() == 7
+
+
+def test_line_recall():
+    """Copies with up to a quarter of their words changed share a key and pass the bound on bits, nearly always."""
+    r = random.Random(12)
+    for n in (6, 10, 16, 30, 60, 150):
+        found = total = 0
+        for i in range(300):
+            a = words((n, i).__hash__(), n)
+            b = list(a)
+            for at in r.sample(range(n), r.randrange(1, n // 4 + 1)):
+                b[at] = r.choice(WORDS) + str(r.randrange(30))
+            a, b = " ".join(a), " ".join(b)
+            if a != b and lines.similar(a, b, 0.75):
+                p = lines._Parsed([a.encode(), b.encode()], 0.75)
+                keys = [set(p.keys[p.owner == x].tolist()) for x in (0, 1)]
+                total += 1
+                found += bool(keys[0] & keys[1]) and bool(lines._Lines([a, b], 0.75).likely(np.array([0]), np.array([1]))[0])
+        assert total > 100 and found >= 0.9 * total, (n, found, total)
+
+
+def test_distances_of_many_lines():
+    r = random.Random(3)
+    texts = []
+    for _ in range(150):
+        t = [r.choice("abcdeé ") for _ in range(r.choice([1, 2, 5, 30, 63, 64, 65, 128, 200]))]
+        texts.append("".join(t))
+        for _ in range(r.randrange(len(t))):
+            k = r.randrange(len(t) + 1)
+            t[k : k + r.randrange(2)] = r.choice(["", "a", "b"])
+        texts.append("".join(t) or "x")
+    held = lines._Lines(texts, 0.75)
+    pairs = sorted({tuple(sorted((r.randrange(300), r.choice((0, 1)) * 150 + r.randrange(150)), key=lambda x: (len(texts[x]), x))) for _ in range(2000)} | {tuple(sorted((2 * i, 2 * i + 1), key=lambda x: len(texts[x]))) for i in range(150)})
+    a, b = np.array(pairs).T
+    most = np.floor(0.25 * held.size[b]).astype(np.int64)
+    for (i, j), d, m in zip(pairs, lines._distances(held.codes, a, b, most, held.letters), most):
+        true = lines.edit_distance(texts[i], texts[j])
+        assert d == true if true <= m else d > m
+
+
 @pytest.mark.parametrize("most", [4096, 5])
 def test_line_dedup_query_finds_similar_lines(spark, tmp_path, monkeypatch, most):
     """Against plain edit similarity, without keys or bits: one changed word or letter, in lines of 1 to 40 words."""
-    monkeypatch.setattr(lines.kept_lines, "__defaults__", (*lines.kept_lines.__defaults__[:-2], most, lines.kept_lines.__defaults__[-1]))
+    monkeypatch.setattr(lines.removed_lines, "__defaults__", (*lines.removed_lines.__defaults__[:-1], most))
     r = random.Random(8)
     alphabet = "abcdefghijklmnopqrstuvwxyzé"
     word = lambda: "".join(r.choice(alphabet) for _ in range(r.randrange(2, 9)))
@@ -387,19 +438,6 @@ def test_segments_of_short_lines():
             assert set(lines._segments(a, 0.75)) & set(lines._segments(b, 0.75)), (a, b)
 
 
-def test_large_buckets_part_nothing_near():
-    r = np.random.default_rng(5)
-    near = np.uint64(0xABCDEF0123456789) ^ np.array([sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for _ in range(2500)], np.uint64)
-    sims = np.unique(np.concatenate([near, r.integers(0, 2**63, 500).astype(np.uint64)]))
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sims), np.int64)), pa.array(sims.view(np.int64))], ["bucket", "sim"])
-    leader = {}
-    for b in lines._led(8)(iter([batch])):
-        leader |= dict(zip(b.column(1).to_pylist(), b.column(0).to_pylist()))
-    i, j = np.nonzero(np.bitwise_count(sims[:, None] ^ sims[None]) <= 8)
-    named = sims.view(np.int64).tolist()
-    assert all(leader[named[a]] == leader[named[b]] for a, b in zip(i.tolist(), j.tolist()) if a != b)
-
-
 # --- 8 ---
 
 
