@@ -2,8 +2,9 @@
 
 A document's set holds the hashes of its distinct five-word shingles; equal sets are one class. Two sets with a Jaccard index
 of t share one of their first |A| - ceil(t |A|) + 1 members in any common order (rare before frequent), so documents that
-share none of those cannot link. Every document is sent to the leader (fewest shingles, then smallest id) of each prefix
-member that it shares, once per leader; whichever two documents share a member meet there. In such a group a signature tree
+share none of those cannot link. Every set is sent to the leader (fewest shingles, then least name) of each prefix
+member that it shares, once per leader; whichever two sets share a member meet there, unless one between them in size is
+missing so that no chain of sizes joins them. In such a group a signature tree
 stands over the documents sorted by size: a node holds the OR of its documents' token bitmaps and their range of sizes. A dual
 traversal drops pairs of nodes whose sizes or largest possible overlap cannot reach the threshold, or that are connected
 already; pairs of documents that are left are verified on the sets. A first traversal, on sizes and bitmaps alone, finds
@@ -16,7 +17,8 @@ So copies and near copies that fill a third of the table collapse where they lie
 Frequent shingles are counted over all documents; the list (at most FREQUENT) only orders prefixes and is broadcast.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and links with nothing; fewer words than five are
-one shingle; a null doc_id has component null; rows that repeat a doc_id are one document; ties need no rule;
+one shingle; a null doc_id has component null; rows that repeat a doc_id are one document, which holds
+the links of all its texts; ties need no rule;
 an empty table gives no rows; other columns are ignored by `jaccard_components`, kept by `keep_one`.
 """
 
@@ -80,44 +82,50 @@ def _frequent(k: int):
 
 
 def _prefixes(k: int, percent: int, frequent: np.ndarray):
-    """(doc_id, n, class, light, heavy, bits): the prefix of each set, frequent members last and apart, and its bitmap."""
+    """(doc_id, h, n, set, light, heavy, bits): the name of each set, its prefix, frequent members last and apart, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingles.of(text.as_py())
                 n = len(s)
                 often = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
                 length = n + (-percent * n // 100) + 1 if n else 0
                 light = s[~often][:length]
-                rows.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, signed(light), signed(s[often][: length - len(light)]), np.packbits(signature(s)).tobytes() if n else None))
+                name = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if n else None
+                rows.append((doc, h, n, name, signed(light), signed(s[often][: length - len(light)]), np.packbits(signature(s)).tobytes() if n else None))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n", "class", "light", "heavy", "bits"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "h", "n", "set", "light", "heavy", "bits"])
 
     return run
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, doc_id) of rows sorted by (token, n, doc_id): a token's first document leads the others."""
-    token, leader, alone = None, 0, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t, d = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        new = np.diff(t, prepend=t[0]) != 0
-        new[0] = token is None or t[0] != token
-        lead = np.where(new, d, 0)
-        at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-        lead = np.where(at >= 0, d[np.maximum(at, 0)], leader)
-        follows = ~new
-        pairs = np.unique(np.stack([lead[follows], d[follows]], 1), axis=0)
-        leads = np.unique(lead[follows])
-        token, leader = t[-1], int(lead[-1])
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], leads])), pa.array(np.concatenate([pairs[:, 1], leads]))], ["leader", "doc_id"])
+def _led(percent: int):
+    """(leader, id) of rows (token, n, set) sorted by these: a token's first set leads the others, up to where the next is too large
+    for the one before it; no set behind such a gap can link with one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = size = leader = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, n, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            n = n.astype(np.int64)
+            new = np.append(True, (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:]))
+            new[0] = token is None or t[0] != token or 100 * size < percent * n[0]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+            lead = np.where(at >= 0, d[np.maximum(at, 0)], leader if leader is not None else 0)
+            follows = ~new & (lead != d)
+            pairs = np.unique(np.stack([lead[follows], d[follows]], 1), axis=0)
+            leads = np.unique(lead[follows])
+            token, size, leader = t[-1], int(n[-1]), int(lead[-1])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], leads])), pa.array(np.concatenate([pairs[:, 1], leads]))], ["leader", "id"])
+
+    return run
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -254,11 +262,11 @@ def _plausible(percent: int):
 
 
 def _linked(k: int, percent: int):
-    """Links inside each group g of a task's rows (g, doc_id, text)."""
+    """Links inside each group g of a task's rows (g, id, text)."""
 
     def run(t: pa.Table) -> pa.Table:
         shingles, remembered = Shingles(k), {}
-        g, doc, text = t.column("g").to_numpy(), t.column("doc_id").to_numpy(), t.column("text").combine_chunks()
+        g, doc, text = t.column("g").to_numpy(), t.column("id").to_numpy(), t.column("text").combine_chunks()
         order = np.argsort(g, kind="stable")
         begins = np.flatnonzero(np.diff(g[order], prepend=g[order[0]] - 1))
         a, b = [], []
@@ -284,47 +292,56 @@ def _linked(k: int, percent: int):
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    spark = scratch.spark
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     often = texts.select("text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(3, int(texts.count() * FREQUENT_SHARE))
     frequent = np.sort(np.array([r["token"] for r in often.where(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-    sets = scratch.save(texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, n int, class binary, light array<long>, heavy array<long>, bits binary"), "sets")
+    sets = scratch.save(texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, h long, n int, set long, light array<long>, heavy array<long>, bits binary"), "sets")
     known = sets.where("doc_id is not null and n > 0")
-    firsts = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class", "rep")
-    copies = scratch.save(known.select("doc_id", "class").join(firsts, "class").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-
-    tokens = known.select(F.explode("light").alias("token"), "doc_id", "n").repartition("token").sortWithinPartitions("token", "n", "doc_id").select("token", "doc_id")
-    light = tokens.mapInArrow(_led, "leader long, doc_id long")
-    heavy = known.select(F.explode("heavy").alias("token"), "doc_id", "n")
-    heads = heavy.groupBy("token").agg(F.min(F.struct("n", "doc_id"))["doc_id"].alias("leader"))  # at most FREQUENT rows
-    pairs = light.unionByName(heavy.join(F.broadcast(heads), "token").select("leader", "doc_id")).distinct()
-    to = copies.select(F.col("doc_id").alias("c"), "rep")
-    pairs = pairs.join(to, F.col("doc_id") == F.col("c"), "left").select("leader", F.coalesce("rep", "doc_id").alias("doc_id"))
+    ids = scratch.save(sets.select("doc_id", "h", "n", "set"), "ids")
+    signs = scratch.save(known.groupBy(F.col("set").alias("id")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "h")).alias("at")), "signs")
+
+    tokens = known.select(F.explode("light").alias("token"), "n", "set").repartition("token").sortWithinPartitions("token", "n", "set")
+    light = tokens.mapInArrow(_led(percent), "leader long, id long")
+    heavy = known.select(F.explode("heavy").alias("token"), "n", F.col("set").alias("id")).distinct()
+    heads = heavy.groupBy("token").agg(F.min(F.struct("n", "id"))["id"].alias("leader"))
+    pairs = light.unionByName(heavy.join(F.broadcast(heads), "token").select("leader", "id"))  # heads: at most FREQUENT rows of two longs, 1 MB
     pairs = scratch.save(pairs.distinct(), "pairs")
+    scratch.drop("sets")
+    scratch.tidy()
     # Groups first meet as bitmaps; texts go only where a partner is possible. Groups beyond `most` go on whole.
-    signs = known.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = pairs.select("leader", F.col("doc_id").alias("id")).join(sizes, "leader")
-    met = sized.where(F.col("size") <= most).join(signs, "id").select("leader", "id", "n", "bits")
+    sized = pairs.join(sizes, "leader")
+    met = sized.where(F.col("size") <= most).join(signs.select("id", "n", "bits"), "id").select("leader", "id", "n", "bits")
     tasks = max(1, -(-pairs.count() // TASK_ROWS))
     kept = met.withColumn("t", F.pmod(F.xxhash64("leader"), F.lit(tasks))).groupBy("t").applyInArrow(_plausible(percent), "leader long, id long")
     pairs = scratch.save(kept.unionByName(sized.where(F.col("size") > most).select("leader", "id")), "plausible")
+    scratch.drop("pairs")
+    scratch.tidy()
+    wanted = pairs.select("id").distinct().join(signs.select("id", "at.doc_id", "at.h"), "id")
+    likely = scratch.save(texts.join(wanted.hint("merge"), ["doc_id", "h"]).dropDuplicates(["id"]).select("id", "text"), "likely")
     scratch.tidy()
 
     def link(rows: DataFrame, name: str) -> DataFrame:
         """Links of rows (g, id); the texts go to the groups."""
-        rows = scratch.save(rows.select("g", F.col("id").alias("doc_id")), f"{name}-rows")
+        rows = scratch.save(rows.select("g", "id"), f"{name}-rows")
         tasks = max(1, -(-rows.count() // TASK_ROWS))
-        held = texts.where("doc_id is not null").join(rows.hint("merge"), "doc_id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+        held = likely.join(rows, "id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks))).select("g", "id", "text", "t")
         return scratch.save(held.groupBy("t").applyInArrow(_linked(k, percent), "a long, b long"), name)
 
     edges = grouped_links(pairs, link, scratch, most)
-    same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = components(edges.unionByName(same), scratch)
-    scratch.drop("pairs", "links-rows")
-    found = sets.select("doc_id", "n").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # A doc_id whose rows have several texts holds their sets together.
+    several = ids.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("set").alias("b"), F.max("set").alias("a")).where("a <> b").select("doc_id", "b")
+    held = ids.where("n > 0").join(several, "doc_id").select(F.col("set").alias("a"), "b")
+    comps = components(edges.unionByName(held), scratch)
+    scratch.drop("likely", "plausible", "links-rows")
+    named = ids.join(comps.withColumnRenamed("id", "set"), "set", "left").withColumn("group", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "set")))
+    named = scratch.save(named.select("doc_id", "n", "group"), "documents")
+    # Which group a doc_id is in, and its least doc_id; rows without a set follow their doc_id's other rows.
+    groups = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("group", "least")
+    of_doc = scratch.save(named.select("doc_id", "group").distinct().join(groups, "group").select("doc_id", F.col("least").alias("component_id")).distinct(), "of-doc")
+    found = named.join(of_doc, "doc_id", "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -548,6 +548,17 @@ def test_jaccard_odd_rows(spark):
 # --- the whole ---
 
 
+def test_jaccard_repeated_ids(spark):
+    """A doc_id with several texts holds the links of all of them, in whatever order the rows come."""
+    a, other, alone = " ".join(words(1, 60)), " ".join(words(2, 60)), " ".join(words(3, 60))
+    rows = [(1, a), (2, a + " more"), (2, other), (3, other + " x"), (4, alone), (4, None), (5, alone), (None, a), (6, a), (6, a)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(d, t, 1, 2) for d, t in order], "doc_id long, text string, component_id int, n int").repartition(2)
+        found = jaccard.jaccard_components(docs, scratch(spark)).collect()
+        assert len(found) == 10 and {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 1), (None, None)}
+        assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(docs, scratch(spark)).collect()) == ["1", "4", "4", "None"]
+
+
 def test_pipeline_and_queries(spark):
     import __spark_entry__
     import corpus_pipeline
