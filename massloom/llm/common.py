@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,16 +20,25 @@ EDGES_PER_TASK = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a new local one, but only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="massloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many "_" behind as it takes to differ from the columns that are there (case aside)."""
+    while name.lower() in (x.lower() for x in taken):
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage, survive the loss of executors, and go when the driver ends or drop() is called."""
 

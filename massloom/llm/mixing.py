@@ -117,12 +117,12 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3, 1, 2
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    names = docs.columns
-    copies = mix(docs, scratch, **how).groupBy("doc_id", "key", "size").agg(F.array_sort(F.collect_list(F.struct("idx", "copies"))).alias("_c"))
-    keyed = docs.withColumns({"_key": source_key(F.col("source")), "_size": word_count(F.col("text"))})
-    numbered = keyed.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_key", "_size").orderBy("_size")))
-    c = copies.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("size").alias("_s"), "_c")
-    at = numbered.join(c, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")))
-    n = F.element_at("_c", F.col("_row"))["copies"]
-    return at.withColumn("_n", n).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names."""
+    names = [str(i) for i in range(len(docs.columns))]
+    copies = mix(docs, scratch, **how).groupBy("doc_id", "key", "size").agg(F.array_sort(F.collect_list(F.struct("idx", "copies"))).alias("c"))
+    keyed = docs.select("*", F.col("doc_id"), source_key(F.col("source")), word_count(F.col("text"))).toDF(*names, "d", "k", "s")
+    numbered = keyed.withColumn("row", F.row_number().over(W.partitionBy("d", "k", "s").orderBy("s")))
+    to = copies.toDF("d2", "k2", "s2", "c")
+    at = numbered.join(to, F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")))
+    taken = at.withColumn("n", F.element_at("c", F.col("row"))["copies"]).where("n > 0")
+    return taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*names).toDF(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import Scratch
+from massloom.llm.common import Scratch, free_name
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -169,7 +169,16 @@ def best_fit_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, in
 
 
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """pieces with sequence_id and offset. `pieces` (a written table: it is read more than once) has an integer length; `by` settles ties."""
+    """pieces with sequence_id and offset (with "_" behind where pieces has such columns). `pieces` (a written table: it is read more
+    than once) has an integer length; `by` settles ties."""
+    own = pieces.columns
+    names = [f"c{i}" for i in range(len(own))]
+    at = own.index("length")
+    placed = _pack(pieces.toDF(*names).withColumnRenamed(names[at], "length"), scratch, capacity, tuple("length" if c == "length" else names[own.index(c)] for c in by))
+    return placed.toDF(*own, free_name("sequence_id", own), free_name("offset", own))
+
+
+def _pack(pieces: DataFrame, scratch: Scratch, capacity: int, by: tuple[str, ...]) -> DataFrame:
     spark = scratch.spark
     fits = F.col("length").between(1, capacity)
     ok = pieces.where(fits)

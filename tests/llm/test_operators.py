@@ -559,6 +559,22 @@ def test_jaccard_repeated_ids(spark):
         assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(docs, scratch(spark)).collect()) == ["1", "4", "4", "None"]
 
 
+def test_clashing_names(spark):
+    """Columns that operators might use for themselves keep their names and values; null and repeated rows stay whole."""
+    more = ["_n", "_row", "_d", "_k", "_s", "_c", "_key", "_size", "_again", "key", "size", "copies", "row", "h"]
+    rows = [(i, " ".join(words(i, 20 + i)), "en", "ab"[i % 2], *[100 + i] * len(more)) for i in range(30)]
+    rows += [(None, None, None, None, *[7] * len(more)), (3, rows[3][1], "en", "b", *[103] * len(more))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in more))
+    mixed = mixing.mixed_documents(docs, scratch(spark))
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        assert tuple(r) in rows
+    pieces = scratch(spark).save(spark.createDataFrame([(1, 5, 9, 8, 7, 6), (2, 3, 9, 8, 7, 6), (None, None, 9, 8, 7, 6), (3, 99, 9, 8, 7, 6)], "doc_id long, length int, _task int, _rank int, sequence_id int, offset int"), "clash")
+    packed = packing.pack(pieces, scratch(spark), 8, ("doc_id",))
+    assert packed.columns == [*pieces.columns, "sequence_id_", "offset_"]
+    assert {(r["doc_id"], r["_task"], r["sequence_id"], r["sequence_id_"], r["offset_"]) for r in packed.collect()} == {(1, 9, 7, 0, 0), (2, 9, 7, 0, 5), (None, 9, 7, None, None), (3, 9, 7, None, None)}
+
+
 def test_pipeline_and_queries(spark):
     import __spark_entry__
     import corpus_pipeline
