@@ -58,7 +58,7 @@ def main(arguments: list[str]) -> int:
             print(f"  {k}: {v[:100]}")
         for column, packed, plain in data.column_sizes():
             print(f"  {column}: {packed} of {plain} bytes")
-        print(aggregates.file_summary(data.long).first().asDict())
+        print(aggregates.file_summary(data.spectra, data.peaks).first().asDict())
         return 0
     how = settings({"preset": a.preset, "peaks_per_file": a.peaks_per_file}, a.config)
     if a.command == "demo":

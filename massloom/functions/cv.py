@@ -21,7 +21,9 @@ NUMPRESS = ("MS:1002312", "MS:1002313", "MS:1002314")
 EXTERNAL_OFFSET, EXTERNAL_LENGTH = "IMS:1000102", "IMS:1000103"
 POSITION_X, POSITION_Y, POSITION_Z = "IMS:1000050", "IMS:1000051", "IMS:1000052"
 MINUTE, MILLISECOND = "UO:0000031", "UO:0000028"
-CHROMATOGRAM_TYPES = {"MS:1000235": "TIC", "MS:1000628": "BPC", "MS:1000627": "SIC", "MS:1001472": "SIM", "MS:1001473": "SRM"}
+CHROMATOGRAM_TYPES = {
+    "MS:1000235": "TIC", "MS:1000628": "BPC", "MS:1001472": "SIM", "MS:1001473": "SRM", "MS:1000908": "SRM", "MS:1000627": "XIC", "MS:1000812": "Absorption", "MS:1000813": "Emission",
+}
 
 
 def has(params: Column, *accessions: str) -> Column:

@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from massloom.operators.filters import binned, mobility_window, ppm_window
 
 
-def file_summary(long: DataFrame) -> DataFrame:
-    """Spectra by level, ranges and peaks of a wide table."""
-    level = lambda n: F.count_distinct(F.when(F.col("ms_level") == n, F.col("spectrum_id")))
-    return long.agg(
-        F.count_distinct("spectrum_id").alias("num_spectra"), level(1).alias("num_ms1"), level(2).alias("num_ms2"), F.count(F.lit(1)).alias("total_peaks"),
-        F.min("retention_time").alias("min_rt"), F.max("retention_time").alias("max_rt"), F.min("mz").alias("min_mz"), F.max("mz").alias("max_mz"),
+def per_spectrum(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Spectra that have peaks, with n, total, highest, min_mz and max_mz of them. Peaks are aggregated before the join, so it moves a row per spectrum."""
+    sums = peaks.groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("total"), F.max("intensity").alias("highest"), F.min("mz").alias("min_mz"), F.max("mz").alias("max_mz"))
+    return spectra.join(sums, "spectrum_id")
+
+
+def file_summary(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Spectra that have peaks by level, ranges and peaks."""
+    level = lambda n: F.count_if(F.col("ms_level") == n)
+    return per_spectrum(spectra, peaks).agg(
+        F.count(F.lit(1)).alias("num_spectra"), level(1).alias("num_ms1"), level(2).alias("num_ms2"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_peaks"),
+        F.min("retention_time").alias("min_rt"), F.max("retention_time").alias("max_rt"), F.min("min_mz").alias("min_mz"), F.max("max_mz").alias("max_mz"),
+    )
+
+
+def dataset_summary(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    return per_spectrum(spectra, peaks).agg(
+        F.count(F.lit(1)).alias("num_spectra"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_peaks"), F.min("min_mz").alias("min_mz"), F.max("max_mz").alias("max_mz"),
+        F.try_divide(F.sum("total"), F.sum("n")).alias("avg_intensity"), F.min("retention_time").alias("start_rt"), F.max("retention_time").alias("end_rt"),
     )
 
 
@@ -25,8 +38,14 @@ def star_summary(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
     return s.join(p, "one").drop("one")
 
 
-def level_statistics(long: DataFrame) -> DataFrame:
-    return long.groupBy("ms_level").agg(F.count_distinct("spectrum_id").alias("num_spectra"), F.count(F.lit(1)).alias("num_peaks"), F.avg("intensity").alias("avg_intensity"), F.max("intensity").alias("max_intensity"))
+def level_statistics(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    by = per_spectrum(spectra.select("spectrum_id", "ms_level"), peaks).groupBy("ms_level")
+    return by.agg(F.count(F.lit(1)).alias("num_spectra"), F.sum("n").alias("num_peaks"), (F.sum("total") / F.sum("n")).alias("avg_intensity"), F.max("highest").alias("max_intensity"))
+
+
+def with_peaks(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Spectra that have peaks; ids of peaks are made distinct before the join."""
+    return spectra.join(peaks.select("spectrum_id").distinct(), "spectrum_id")
 
 
 def count_spectra(rows: DataFrame) -> DataFrame:

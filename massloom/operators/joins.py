@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from massloom.operators.windows import prefix_sum
 
 
 def isotope_pairs(peaks: DataFrame, low: float = 1.0, high: float = 1.01, least: float = 1e5, ratio: float = 0.1) -> DataFrame:
-    """Pairs of a spectrum's peaks whose m/z differ by low to high. Peaks are binned by `high`, so a peak meets two bins, not its whole spectrum."""
+    """Pairs of a spectrum's peaks whose m/z differ by low to high. Peaks are binned by `high`, so a peak meets three or four bins, not its whole spectrum."""
     one = peaks.where(F.col("intensity") > least).select("spectrum_id", F.col("mz").alias("mz_monoisotopic"), F.col("intensity").alias("intensity_mono"))
     two = peaks.select("spectrum_id", F.col("mz").alias("mz_isotope"), F.col("intensity").alias("intensity_iso"), F.floor(F.col("mz") / high).alias("bin"))
     first = F.floor((F.col("mz_monoisotopic") + low) / high) - 1  # one more on each side: divisions are rounded
@@ -42,6 +43,5 @@ def without_peaks(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def offset_violations(spectra: DataFrame) -> DataFrame:
-    """Spectra whose peak_offset is not the number of peaks before them. Orders spectra, never peaks."""
-    before = F.coalesce(F.sum("peak_count").over(W.orderBy("spectrum_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return spectra.withColumn("expected_offset", before.cast("long")).where("peak_offset <> expected_offset")
+    """Spectra whose peak_offset is not the number of peaks before them. Orders spectra in ranges of ids, never peaks."""
+    return prefix_sum(spectra, "peak_count", "expected_offset").where("peak_offset <> expected_offset")
