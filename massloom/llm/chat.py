@@ -5,12 +5,14 @@ Only DataFrame and SQL functions are used.
 
 Defined cases: a null text is an empty text, a null role the role "user"; turns go by (turn, role, text), null turns
 first, so ties and repeated rows are kept in a fixed order; an empty table gives no rows; other columns are ignored.
-A layout without a mapping gives null turns (`chat_turns`) or raises (`turns_of_layout`).
+Optional fields may be missing or null and further fields do not matter. A layout without a mapping gives null turns
+(`chat_turns`) or raises (`turns_of_layout`).
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,51 +80,71 @@ def _renamed(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
 
 
-#: Layouts: name, field paths, and the expression that gives the turns. The registry is keyed by fingerprint.
+#: Layouts: name, field paths, those of them that may be missing, and the expression that gives the turns.
 LAYOUTS = {
-    "messages": (["messages[].role:string", "messages[].content:string"], lambda: _mapped("messages", "role", "content")),
-    "shared": (["conversations[].from:string", "conversations[].value:string"], lambda: _renamed(_mapped("conversations", "from", "value"))),
-    "prompt": (["prompt:string", "completion:string"], lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
-    "prompt_response": (["system:string", "prompt:string", "response:string"], lambda: _said(("system", F.col("system")), ("user", F.coalesce(F.col("prompt"), F.lit(""))), ("assistant", F.coalesce(F.col("response"), F.lit(""))))),
-    "instruction": (["instruction:string", "input:string", "output:string"], _instruction),
-    "question": (["question:string", "answer:string"], lambda: F.array(_turn("user", F.col("question")), _turn("assistant", F.col("answer")))),
-    "rows": (["said[].turn:bigint", "said[].role:string", "said[].text:string"], lambda: _mapped("said", "role", "text")),
+    "messages": (["messages[].role:string", "messages[].content:string"], ["messages[].role:string", "messages[].content:string"], lambda: _mapped("messages", "role", "content")),
+    "shared": (["conversations[].from:string", "conversations[].value:string"], ["conversations[].from:string", "conversations[].value:string"], lambda: _renamed(_mapped("conversations", "from", "value"))),
+    "prompt": (["prompt:string", "completion:string"], [], lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
+    "prompt_response": (["system:string", "prompt:string", "response:string"], ["system:string"], lambda: _said(("system", F.col("system")), ("user", F.coalesce(F.col("prompt"), F.lit(""))), ("assistant", F.coalesce(F.col("response"), F.lit(""))))),
+    "instruction": (["instruction:string", "input:string", "output:string"], ["input:string"], _instruction),
+    "question": (["question:string", "answer:string"], [], lambda: F.array(_turn("user", F.col("question")), _turn("assistant", F.col("answer")))),
+    "rows": (["said[].turn:bigint", "said[].role:string", "said[].text:string"], [], lambda: _mapped("said", "role", "text")),
 }
-REGISTRY = {fingerprint(paths): (name, turns) for name, (paths, turns) in LAYOUTS.items()}
+
+
+def _forms(name: str) -> list[list[str]]:
+    """The sets of field paths that a layout's records may have: with and without each optional one. A list itself is never optional."""
+    paths, optional, _ = LAYOUTS[name]
+    needed = [p for p in paths if p not in optional] + sorted({f"{p.split('[]')[0]}[]" for p in paths if "[]" in p})
+    return [sorted([*needed, *some]) for n in range(len(optional) + 1) for some in combinations(optional, n)]
+
+
+#: The registry is keyed by fingerprint.
+REGISTRY = {fingerprint(form): name for name in LAYOUTS for form in _forms(name)}
+#: Field paths that some layout has. Others do not enter a fingerprint, so records may have any further fields.
+KNOWN = sorted({p for name in LAYOUTS for form in _forms(name) for p in form})
 
 
 def turns_of_layout(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, layout, turns): one row per record of a table whose columns, but for `key`, have one of the LAYOUTS."""
-    found = fingerprint([p for f in df.schema.fields if f.name != key for p in field_paths(f.dataType, f.name)])
+    paths = [p for f in df.schema.fields if f.name != key for p in field_paths(f.dataType, f.name)]
+    found = fingerprint([p for p in {*paths, *(f"{p.split('[]')[0]}[]" for p in paths if "[]" in p)} if p in KNOWN])
     if found not in REGISTRY:
         raise ValueError(f"no layout has the fingerprint {found}: {df.schema.simpleString()}")
-    name, turns = REGISTRY[found]
+    name = REGISTRY[found]
+    paths, _, turns = LAYOUTS[name]
+    for f in _schema_of(paths).fields:  # optional ones that are missing
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
     return df.select(key, F.lit(name).alias("layout"), F.coalesce(turns(), F.array().cast(TURN)).cast(TURN).alias("turns"))
 
 
+def _has(record: Column, path: str) -> Column:
+    """Whether a variant holds the field, with a value or null; a field of list items, whether any item holds it."""
+    head, listed, rest = path.split(":")[0].partition("[]")
+    if not listed:
+        return F.try_variant_get(record, f"$.{head}", "variant").isNotNull()
+    items = F.try_variant_get(record, f"$.{head}", "array<variant>")
+    return F.coalesce(F.exists(items, lambda x: F.try_variant_get(x, f"$.{rest[1:]}", "variant").isNotNull()), F.lit(False)) if rest else items.isNotNull()
+
+
 def chat_turns(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """(key, fingerprint, layout, turns): records are JSON texts, each of its own layout.
 
-    A record's fingerprint hashes the field paths that its own schema has. Invalid JSON and unknown layouts give null turns.
+    A record's fingerprint hashes those of its field paths that layouts know; fields that are null count as there, and further
+    fields do not matter. Invalid JSON and unknown layouts give null turns.
     """
-    shape = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(record))), F.lit("VOID"))
-    forms = {}
-    for name, (paths, turns) in LAYOUTS.items():
-        kind = _schema_of(paths)
-        forms[name] = (_variant_shape(kind), kind, turns)
-    named = df.select(F.col(key), F.col(record).alias("record"), F.sha2(shape, 256).substr(1, 16).alias("fingerprint"))
-    codes = {hashlib.sha256(form.encode()).hexdigest()[:16]: name for name, (form, _, _) in forms.items()}
-    table = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
-    named = named.withColumn("layout", table[F.col("fingerprint")])
-    parts = []
-    for name, (_, kind, turns) in forms.items():
-        part = named.where(F.col("layout") == name).select(key, "fingerprint", "layout", F.from_json("record", kind).alias("r")).select(key, "fingerprint", "layout", "r.*")
-        parts.append(part.select(key, "fingerprint", "layout", turns().cast(TURN).alias("turns")))
-    parts.append(named.where("layout is null").select(key, "fingerprint", "layout", F.lit(None).cast(TURN).alias("turns")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    held = df.select(F.col(key).alias("the key"), F.col(record).alias("record"), F.try_parse_json(F.col(record)).alias("v"))
+    there = F.filter(F.array(*(F.when(_has(F.col("v"), p), F.lit(p)) for p in KNOWN)), lambda p: p.isNotNull())
+    code = F.sha2(F.concat_ws("\n", there), 256).substr(1, 16)
+    table = F.create_map(*(F.lit(x) for pair in REGISTRY.items() for x in pair))
+    every = {f.name: f for paths, _, _ in LAYOUTS.values() for f in _schema_of(paths).fields}  # no two layouts disagree about a field
+    named = held.select("the key", "record", code.alias("fingerprint")).withColumn("layout", table[F.col("fingerprint")])
+    read = named.select("the key", "fingerprint", "layout", F.from_json("record", T.StructType(list(every.values()))).alias("r")).select("the key", "fingerprint", "layout", "r.*")
+    turns = F.lit(None).cast(TURN)
+    for name, (_, _, of) in LAYOUTS.items():
+        turns = F.when(F.col("layout") == name, of().cast(TURN)).otherwise(turns)
+    return read.select(F.col("the key").alias(key), "fingerprint", "layout", turns.alias("turns"))
 
 
 def _schema_of(paths: list[str]) -> T.StructType:
@@ -136,12 +158,6 @@ def _schema_of(paths: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(T.StructType([T.StructField(x, T.LongType() if f"{n}[].{x}:bigint" in paths else T.StringType()) for x in inner])) if inner else T.StringType()) for n, inner in fields.items()])
 
 
-def _variant_shape(kind: T.DataType) -> str:
-    if isinstance(kind, T.StructType):
-        return "OBJECT<" + ", ".join(f"{f.name}: {_variant_shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    return f"ARRAY<{_variant_shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "BIGINT" if isinstance(kind, T.LongType) else "STRING"
-
-
 def gather_turns(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(key, layout, turns) of a table with one row per turn. A conversation is one training sample and becomes one record, whose fingerprint selects the layout."""
     one = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))

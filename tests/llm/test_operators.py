@@ -232,6 +232,23 @@ def test_chat_layouts(spark):
         chat.turns_of_layout(spark.range(1))
 
 
+def test_chat_records_with_optional_and_further_fields(spark):
+    wanted = [
+        ({"system": None, "prompt": "a", "response": "b"}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ({"prompt": "a", "response": "b", "id": 7}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": None, "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"messages": []}, "messages", []),
+        ({"messages": [{"role": "user", "content": "x", "name": "n"}, {"content": "y"}], "the key": 1, "layout": "z"}, "messages", [("user", "x"), ("user", "y")]),
+        ({"prompt": "a", "completion": None}, "prompt", [("user", "a"), ("assistant", "")]),
+        ({"prompt": "a"}, None, None),
+        ([1, 2], None, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(wanted)], "prompt long, record string")
+    found = {r["prompt"]: (r["layout"], r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in chat.chat_turns(df, "prompt").collect()}
+    assert found == {i: (layout, turns) for i, (_, layout, turns) in enumerate(wanted)}
+
+
 def test_chat_rows_go_by_fingerprint(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn int, role string, text string")
     assert chat.gather_turns(df).first()["layout"] == "rows"
