@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from massloom.llm.common import Scratch
 
@@ -83,8 +84,12 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum of `of(statistics, labels)` over (stats, label) rows: per task, then over 16 groups of tasks, then on the driver."""
+#: Partial sums that one task merges.
+FAN_IN = 32
+
+
+def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int], scratch: Scratch, name: str) -> np.ndarray:
+    """The sum of `of(statistics, labels)` over (stats, label) rows: per task, then in a tree of FAN_IN sums a node; the last FAN_IN on the driver."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -92,16 +97,20 @@ def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], s
             if batch.num_rows:
                 flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
                 total += of(flat.reshape(batch.num_rows, -1), batch.column(1).to_numpy(zero_copy_only=False))
-        task = TaskContext.get().partitionId()
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([task % 16], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "task", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "m"])
 
     def merge(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("task").to_numpy())
+        order = np.argsort(t.column("at").to_numpy())
         total = sum(np.frombuffer(t.column("m")[int(i)].as_py()).reshape(shape) for i in order)
-        return pa.table({"g": t.column("g")[:1], "m": pa.array([total.tobytes()], pa.binary())})
-
-    found = sorted((r["g"], bytes(r["m"])) for r in rows.select("stats", F.col("label").cast("double")).mapInArrow(part, "g int, task int, m binary").groupBy("g").applyInArrow(merge, "g int, m binary").collect())
+        return pa.table({"at": pa.array([int(t.column("at")[0].as_py()) // FAN_IN], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    sums = scratch.save(rows.select("stats", F.col("label").cast("double")).mapInArrow(part, "at long, m binary"), f"{name}-0")
+    level = 1
+    while sums.count() > FAN_IN:
+        sums = scratch.save(sums.groupBy(F.floor(F.col("at") / FAN_IN).alias("g")).applyInArrow(merge, "at long, m binary"), f"{name}-{level}")
+        level += 1
+    found = sorted((r["at"], bytes(r["m"])) for r in sums.collect())
     return sum((np.frombuffer(m).reshape(shape) for _, m in found), np.zeros(shape))
 
 
@@ -147,7 +156,7 @@ def fit(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % 4
     known = scratch.save(stats.where(~F.col("held_out")).join(one, "doc_id").select("stats", "label", (fold == 3).alias("calibrates")), "known")
     d = len(STATISTICS)
-    moments = _sums(known, lambda x, y: np.vstack([x.sum(0), (x * x).sum(0), np.full(d, len(x))]), (3, d))
+    moments = _sums(known, lambda x, y: np.vstack([x.sum(0), (x * x).sum(0), np.full(d, len(x))]), (3, d), scratch, "moments")
     n = max(1.0, moments[2, 0])
     mean = moments[0] / n
     model = Model(mean, np.sqrt(np.maximum(moments[1] / n - mean**2, 1e-12)) + 1e-6)
@@ -158,7 +167,7 @@ def fit(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
         f = np.hstack([model.features(x), y[:, None]])
         return f.T @ f
 
-    m = _sums(known.where("not calibrates"), normal, (FOURIER + 2, FOURIER + 2))
+    m = _sums(known.where("not calibrates"), normal, (FOURIER + 2, FOURIER + 2), scratch, "normal")
     k = FOURIER + 1
     model.weights = np.linalg.solve(m[:k, :k] + RIDGE * max(1.0, m[k - 1, k - 1]) / k * np.eye(k), m[:k, k])
 
@@ -166,7 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
         at = np.clip(np.floor((model.raw(x) + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int64)
         return np.vstack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)])
 
-    seen = _sums(known.where("calibrates"), histogram, (2, BINS))
+    seen = _sums(known.where("calibrates"), histogram, (2, BINS), scratch, "histogram")
     full = seen[0] > 0
     if full.any():
         level = pool(seen[1][full] / seen[0][full], seen[0][full])
@@ -191,14 +200,26 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that are predicted good, with their columns. Rows with equal doc_id are judged one by one, on their texts."""
-    model = fit(scratch.save(with_statistics(docs), "statistics"), labels, scratch)
-    at, kind = docs.columns.index("text"), docs.schema
+    """The rows of docs that are predicted good, with their columns, whatever their names. Rows with equal doc_id are judged one by one, on
+    their texts. Statistics are made once and written beside the rows."""
+    names = [str(i) for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)])
+    kind = T.StructType([*plain.fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = pa.array([statistics(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, stats], [*names, "stats"])
+
+    rows = scratch.save(docs.toDF(*names).mapInArrow(measured, kind), "measured")
+    doc = F.col(names[docs.columns.index("doc_id")]).cast("long").alias("doc_id")
+    model = fit(rows.select(doc, "stats").select("doc_id", held_out().alias("held_out"), "stats"), labels, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                stats = np.array([statistics(t.as_py()) for t in batch.column(at)])
-                yield batch.filter(pa.array(model.score(stats) >= GOOD))
+                stats = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(model.score(stats) >= GOOD))
 
-    return docs.mapInArrow(run, kind)
+    return rows.mapInArrow(run, plain).toDF(*docs.columns)
