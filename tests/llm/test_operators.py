@@ -161,6 +161,27 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), known, scratch(spark)).count() == 0
 
 
+def test_quality_against_a_direct_solution(spark, monkeypatch):
+    """The weights that summed normal equations give, in a tree of many levels, are those of plain ridge regression on all rows at once; calibration is isotonic."""
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    r = random.Random(6)
+    texts = [" ".join(words(i, r.randrange(5, 60))) + ("!!!" * r.randrange(9) if i % 3 else "") for i in range(240)]
+    docs = documents(spark, texts).repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(quality.with_statistics(docs), labels, scratch(spark))
+    learned = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality.statistics(texts[i]) for i in learned])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0) + 1e-6, atol=2e-6)
+    fits = np.array([zlib.crc32(str(i).encode()) // 4 % 4 != 3 for i in learned])
+    f, y = model.features(x[fits]), np.array([float(i % 3 == 0) for i in learned])
+    lam = quality.RIDGE * max(1.0, fits.sum()) / f.shape[1]
+    direct = np.linalg.lstsq(np.vstack([f, np.sqrt(lam) * np.eye(f.shape[1])]), np.concatenate([y[fits], np.zeros(f.shape[1])]), rcond=None)[0]
+    assert np.allclose(f @ model.weights, f @ direct, atol=1e-4)
+    assert (np.diff(model.level) >= 0).all()
+    raw, own = model.raw(x[~fits]), y[~fits]
+    assert abs(np.interp(raw, model.at, model.level).mean() - own.mean()) < 0.05
+
+
 def test_pool():
     assert quality.pool(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == [0.1, 0.4, 0.4, 0.9]
 
