@@ -22,6 +22,15 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(14 + length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')})) as bigint) as formatted_chars
 from said group by conv_id"""
 
+# Base32 of the SHA-1: five hexadecimal digits are four letters.
+WARC = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as x from pages),
+g as (select x, max(page_id) as first from p group by x)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(x, (i // 4) * 5 + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from p join g using (x)"""
+
 SUBSTRINGS = f"""
 with d as (select doc_id, row_number() over () as r, {_SPLIT.format("coalesce(text, '')")} as w from documents),
 t as (select r, i, array_to_string(w[i:i + 34], ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),

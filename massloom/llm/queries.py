@@ -13,6 +13,7 @@ from massloom.llm.common import Scratch
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_exact_topk": oracles.TOPK,
+    "op4_warc": oracles.WARC,
     "op5_chat_format": oracles.CHAT,
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op9_embedding_near_dedup": oracles.EMBEDDINGS,
