@@ -341,6 +341,30 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == slow(a, b)
 
 
+def test_bounded_distances(monkeypatch):
+    """Distances up to a bound, in windows and many at once, are those without a bound; beyond it they exceed it."""
+    monkeypatch.setattr(lines, "WINDOWED", 10)
+    monkeypatch.setattr(lines, "STEP", 7)
+    r = random.Random(6)
+    for size in (5, 64, 65, 200, 700):
+        texts, most = [], []
+        for _ in range(25):
+            a = [r.randrange(5) for _ in range(r.randint(1 + size // 2, size + size // 3))]
+            b = [x if r.random() > 0.2 else r.randrange(5) for x in a if r.random() > 0.1]
+            b = b[r.randrange(1 + size // 9) :] + [r.randrange(5)]
+            a, b = sorted((a, b), key=len)
+            if len(b) - len(a) <= len(b) // 4:
+                texts.append((a, b))
+                most.append(len(b) // 4)
+        codes = [np.array(x, np.uint8) for pair in texts for x in pair]
+        at = np.arange(0, len(codes), 2)
+        many = lines._distances(codes, at, at + 1, np.array(most), 5)
+        for (a, b), bound, found in zip(texts, most, many.tolist()):
+            a, b = ("".join("abcde"[x] for x in t) for t in (a, b))
+            true, one = lines.edit_distance(a, b), lines.edit_distance(a, b, bound)
+            assert (found == one == true) if true <= bound else (found > bound and one > bound)
+
+
 def kept_by_brute_force(rows, least=0.75):
     """The (doc_id, text) rows' lines that stay: every pair of distinct normalised lines is compared by edit similarity alone."""
     first, where = {}, {}
