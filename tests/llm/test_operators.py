@@ -444,6 +444,51 @@ def test_line_recall():
         assert total > 100 and found >= 0.9 * total, (n, found, total)
 
 
+def test_sets_of_words_spare_simhashes():
+    """Pairs of which at most 0.6 of the words stand in one line only stay possible; most that share two words go, before any SimHash is made."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 9)))
+    for n in (8, 12, 30, 100):
+        texts = []
+        for _ in range(100):
+            a = [word() for _ in range(n)]
+            near, far = list(a), [word() for _ in range(n)]
+            for k in r.sample(range(n), int(0.6 * n)):
+                near[k] = near[k][:-1] + "0"
+            far[:2] = a[:2]
+            texts += [" ".join(x) for x in (a, near, far)]
+        held = lines._Lines(texts, 0.0)
+        at = np.arange(0, 300, 3)
+        assert held.possible(at, at + 1).all()
+        assert n == 100 or held.possible(at, at + 2).mean() < 0.4
+        assert not held.summed.any()
+        held.bits(at[:1], at[:1] + 1)
+        assert held.summed.sum() == 2
+    whole = lines._Lines(texts, 0.0)
+    assert (whole.bits(at, at + 1)[::-1] == held.bits(at[::-1], at[::-1] + 1)).all()
+
+
+def test_leaders_of_keys(monkeypatch):
+    """Each key's names meet at the least, the first fold's where a part is folded often; most keys are of one name."""
+    r = random.Random(18)
+    rows = [(r.randrange(3000) if r.random() < 0.9 else 7, r.randrange(-500, 500)) for _ in range(3000)]
+    blobs = []
+    for k in range(0, 3000, 100):
+        some = np.zeros(100, lines._KEY)
+        keys = np.array([x for x, _ in rows[k : k + 100]], "<u8")
+        some["key"], some["name"] = keys.view(np.uint8).reshape(-1, 8)[:, :5], [x for _, x in rows[k : k + 100]]
+        blobs.append(some.tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 30, pa.int32()), pa.array([1] * 30, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "data"])
+    names = sorted({x for _, x in rows})
+    want = roots([(names.index(x), names.index(x)) for _, x in rows] + [(names.index(x), names.index(y)) for k, x in rows for y in [min(n for q, n in rows if q == k)]])
+    for limit in (1 << 21, 250):
+        monkeypatch.setattr(lines, "LIMIT", limit)
+        met = [x for b in lines._met(iter([batch])) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        assert roots([(i, i) for i in range(len(names))] + [(names.index(a), names.index(b)) for a, b in met]) == want
+        if limit > 3000:
+            assert set(met) == {(m, x) for k in {k for k, _ in rows} for own in [{n for q, n in rows if q == k}] if len(own) > 1 for m in [min(own)] for x in own}
+
+
 def test_distances_of_many_lines():
     r = random.Random(3)
     texts = []
