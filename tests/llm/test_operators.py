@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import random
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -489,6 +490,28 @@ def test_leaders_of_keys(monkeypatch):
             assert set(met) == {(m, x) for k in {k for k, _ in rows} for own in [{n for q, n in rows if q == k}] if len(own) > 1 for m in [min(own)] for x in own}
 
 
+def test_memory_of_hot_key():
+    """A part that holds a key 4 million times is folded in pieces, and the lines of documents leave in small batches."""
+    blob = np.zeros(100_000, lines._KEY)
+    blob["name"] = np.arange(100_000) % 5000
+    n = 40
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([blob.tobytes()] * n, pa.binary())], ["part", "kind", "data"])
+    tracemalloc.start()
+    try:
+        found = {x for b in lines._met(iter([batch])) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == {(0, x) for x in range(5000)}
+    assert peak < 150e6, peak
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("name", pa.int64())]))
+    texts = [f"A  {i}\nb\n C {i}" for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([[{"no": 2, "name": 2 * i}, {"no": 0, "name": 2 * i + 1}][: i % 3] for i in range(2500)], kind)], ["text", "wanted"])
+    got = list(lines._wanted(iter([batch.slice(1)])))
+    assert [x for b in got for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == [x for i in range(1, 2500) for x in [(2 * i, f"c {i}"), (2 * i + 1, f"a {i}")][: i % 3]]
+    assert len(got) == 3
+
+
 def test_distances_of_many_lines():
     r = random.Random(3)
     texts = []
