@@ -555,6 +555,58 @@ def test_line_dedup_query_finds_similar_lines(spark, tmp_path, monkeypatch, most
     assert len(set(group.values())) < 0.6 * len(texts)
 
 
+def test_work_on_lines_that_share_a_passage(monkeypatch):
+    """Bands shrink with the distance so far, and pairs that can't reach the bound leave early: far less than all words of all columns."""
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = letters(300)
+    texts = [letters(200 + i) + passage + letters(150) for i in range(60)]
+    held = lines._Lines(texts, 0.75)
+    a, b = np.array([(j, i) for i in range(60) for j in range(i)]).T
+    most = np.floor(0.25 * held.size[b]).astype(np.int64)
+    done = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def invert(self, x, out):
+            done.append(x.size)
+            return np.invert(x, out=out)
+
+    monkeypatch.setattr(lines, "np", Counting())
+    found = lines._distances(held.codes, a, b, most, held.letters)
+    monkeypatch.undo()
+    for i, j, d, m in zip(a[::9].tolist(), b[::9].tolist(), found[::9], most[::9]):
+        true = lines.edit_distance(texts[i], texts[j])
+        assert d == true if true <= m else d > m
+    assert sum(done) / 2 < 0.22 * (-(-held.size[a] // 64) * held.size[b]).sum()
+
+
+def test_line_groups_in_cells(spark, monkeypatch):
+    """Parts of a large group meet in pairs, which together hold each pair of its lines once."""
+    monkeypatch.setattr(lines, "CELL", 3)
+    whole = [(1, i, 20, 0) for i in range(20)] + [(2, i, 3, 0) for i in range(3)]
+    sides = [(3, i, 8, 1 + i % 2) for i in range(16)]
+    rows = [tuple(x) for x in lines._cells(spark.createDataFrame(whole + sides, "g long, id long, size long, side int")).collect()]
+    pairs = Counter((x, y) for g, x, a in rows for h, y, b in rows if g == h and x < y and (a == 0 or a != b))
+    want = Counter((x[1], y[1]) for x in whole for y in whole if x[0] == y[0] and x[1] < y[1])
+    want.update((x[1], y[1]) for x in sides for y in sides if x[1] < y[1] and x[3] != y[3])
+    assert pairs == want and max(Counter(g for g, _, _ in rows).values()) < 20
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_line_dedup_in_cells(spark, monkeypatch, most):
+    r = random.Random(12)
+    base = words(5, 30)
+    texts = list(dict.fromkeys(" ".join(r.choice(WORDS) if r.random() < share else w for w in base) for share in (0.02, 0.1, 0.2, 0.3) for _ in range(12)))
+    found = []
+    for cell in (1024, 3):
+        monkeypatch.setattr(lines, "CELL", cell)
+        found.append({x["doc_id"]: x["n_removed"] for x in lines.deduplicated(documents(spark, texts), scratch(spark), most=most).collect()})
+    assert found[0] == found[1] and 0 < sum(found[0].values()) < len(texts) - 1
+
+
 def test_segments_of_short_lines():
     r = random.Random(9)
     for _ in range(3000):
