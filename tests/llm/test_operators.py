@@ -469,6 +469,43 @@ def test_sets_of_words_spare_simhashes():
     assert (whole.bits(at, at + 1)[::-1] == held.bits(at[::-1], at[::-1] + 1)).all()
 
 
+def test_memory_of_verification(monkeypatch):
+    """Words, sets, SimHashes and codes of lines are made in portions, with the same results: less than ten bytes a letter at the peak."""
+    r = random.Random(20)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=r.choice((1, 7, 8, 60, 200)))) for _ in range(8000)] + [" ".join(r.choices(words, k=60_000))]
+    at = np.arange(len(texts) - 1)
+    tracemalloc.start()
+    held = lines._Lines(texts, 0.75)
+    bits = held.bits(at, at + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(map(len, texts)), peak / sum(map(len, texts))
+    monkeypatch.setattr(lines, "PARSED", 1 << 30)
+    monkeypatch.setattr(lines, "WORDS", 1 << 30)
+    whole = lines._Lines(texts, 0.75)
+    assert (bits == whole.bits(at, at + 1)).all() and (held.sets == whole.sets).all() and (held.words == whole.words).all() and (held.hashes == whole.hashes).all()
+    assert held.letters == whole.letters and all((x == y).all() for x, y in zip(held.codes, whole.codes, strict=True))
+
+
+def test_sizes_of_wanted_lines():
+    """Tasks of verification follow the bytes of lines too."""
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("name", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["É  b\nc"]), pa.array([[{"no": 0, "name": 5}, {"no": 1, "name": 6}]], kind)], ["text", "wanted"])
+    assert pa.Table.from_batches(lines._wanted(iter([batch]))).to_pylist() == [{"name": 5, "line": "é b", "size": 4}, {"name": 6, "line": "c", "size": 1}]
+
+
+def test_verification_gives_memory_back(monkeypatch):
+    """Chunks of a task's lines are read one by one; what is freed goes back before pairs are compared and at the end."""
+    given = []
+    monkeypatch.setattr(lines, "_trim", given.append)
+    texts = ["one two three four", "one two three for", "something else here", "something else hero", "one two three fou"]
+    rows = [pa.table({"g": [g], "name": [i], "line": [texts[i]], "side": pa.array([0], pa.int32())}) for g, i in [(1, 4), (2, 3), (1, 0), (2, 2), (1, 1), (3, 4), (3, 2)]]
+    found = lines._linked(0.75)(pa.concat_tables(rows))
+    assert roots(zip(found["a"].to_pylist(), found["b"].to_pylist())) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 0}
+    assert len(given) == 2
+
+
 def test_leaders_of_keys(monkeypatch):
     """Each key's names meet at the least, the first fold's where a part is folded often; most keys are of one name."""
     r = random.Random(18)
